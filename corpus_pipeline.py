@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundshift.llm import common, neardup, packing, pii
+from groundshift.llm import common, langid, neardup, packing, pii
 from groundshift.session import ship_package
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no text, no letter) go; lang becomes the language that the network names."""
+    ship_package(spark)
+    named = docs.withColumn("_lang", langid.language_column(docs, langid.fit(docs)))
+    rest = named.filter(F.col("_lang.lang_pred") != langid.UNDETERMINED)
+    return rest.withColumn("lang", F.col("_lang.lang_pred")).select(*docs.columns)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: the one with the smallest id."""
     ship_package(spark)
@@ -28,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, common.tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("near-duplicates", drop_near_duplicates), ("pii", redact_pii), ("packing", pack)]
+STAGES = [("language", known_language), ("near-duplicates", drop_near_duplicates), ("pii", redact_pii), ("packing", pack)]
 
 #: Byte networks, MinHash and best-fit packing have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundshift.llm import bpe, common, neardup, packing, pii
+from groundshift.llm import ann, bpe, common, langid, neardup, packing, pii, urlfilter, warc
 from groundshift.session import ship_package
 
 
@@ -27,12 +27,32 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(_table(spark, sf_dir, "documents"))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_columns(_table(spark, sf_dir, "documents"), common.tokenizer_path("byte_bpe_50k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+#: verdict, host, path
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_pii, op4_minhash, op8_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_pii, op4_minhash, op5_langid, op6_ann, op8_bpe, op9_warc, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
