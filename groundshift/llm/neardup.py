@@ -233,20 +233,16 @@ def near_duplicates(df: DataFrame, percent: int = 85, bands: int = BANDS, rows:
     spark = df.sparkSession
     docs = common.materialize(sketch(df, bands, rows, id_col, text_col), "sketch")
     named = docs.filter("doc_id is not null and set_digest is not null")
-    grouped = named.groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # Rows of one set have equal bands, so any row's will do.
+    grouped = named.groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     sets = common.materialize(grouped, "sets")
     total = sets.agg(F.sum("copies")).first()[0] or 0
-
-    # One row for each band of each distinct set; rows of one set are equal, so any copy with the smallest id will do.
-    reps = common.join_counted(named, sets, "set_digest", "copies", total, "doc_id").filter("doc_id = rep")
-    entries = reps.select(F.col("rep"), "set_digest", "n_shingles", F.posexplode("bands").alias("band", "key")).select("rep", "band", "key")
+    entries = sets.select("rep", F.posexplode("bands").alias("band", "key"))
     hubs = entries.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top").drop("top")
     stars = entries.join(hubs, ["band", "key"]).filter("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
     classes = components(stars, "candidates")
     with_hub = classes.unionByName(classes.select(F.col("root").alias("node"), "root")).distinct()
-    sizes = named.select(F.col("doc_id").alias("node"), "set_digest", "n_shingles")
-    only = F.col("rep") == F.col("node")
-    members = common.materialize(with_hub.join(sizes, "node").join(sets.select("set_digest", "rep"), "set_digest").filter(only).select("node", "root", "set_digest", "n_shingles").distinct(), "members")
+    members = common.materialize(with_hub.join(sets, F.col("rep") == F.col("node")).select("node", "root", "set_digest", "n_shingles"), "members")
 
     # Candidate classes too large for one task become pairs of blocks.
     weights = members.groupBy("root").agg(F.sum("n_shingles").alias("weight"))
@@ -257,13 +253,15 @@ def near_duplicates(df: DataFrame, percent: int = 85, bands: int = BANDS, rows:
     group = F.when(F.col("block").isNull(), F.concat_ws("-", "root")).otherwise(F.concat_ws("-", "root", F.least("block", "other"), F.greatest("block", "other")))
     side = F.when(F.col("block").isNull() | (F.col("block") == F.col("other")), F.lit(None).cast("int")).otherwise((F.col("block") > F.col("other")).cast("int"))
     dealt = dealt.select(group.alias("group"), side.alias("side"), F.col("node"), "set_digest")
+    dealt = common.materialize(dealt, "dealt")
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = _verified(dealt.join(texts, F.col("node") == F.col("doc_id")), percent, parts)
-    found = common.materialize(components(links, "verified"), "classes")
+    # The comparison makes Spark build its runtime Bloom filter of the members, so that only their texts are shuffled.
+    with common.settings(spark, {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1MB", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB"}):
+        found = components(_verified(dealt.filter(F.col("node") >= F.lit(-(2**63))).join(texts, F.col("node") == F.col("doc_id")), percent, parts), "verified")
 
-    roots = sets.join(found, F.col("rep") == F.col("node"), "left").select("set_digest", "copies", F.coalesce("root", "rep").alias("component_id"))
-    shared = roots.join(sets.select("set_digest", "rep"), "set_digest").filter("copies > 1 or component_id <> rep").drop("rep")
+    roots = sets.join(found, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("root", "rep"))
+    shared = roots.filter("copies > 1 or component_id <> rep").select("set_digest", "copies", "component_id")
     out = common.join_counted(docs.select("doc_id", "n_shingles", "set_digest"), common.materialize(shared, "shared"), "set_digest", "copies", total, "doc_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
