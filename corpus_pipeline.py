@@ -10,11 +10,11 @@ from groundshift.session import ship_package
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, no letter) go; lang becomes the language that the network names."""
+    """Documents without a language (no text, no letter) go; a null lang becomes the one that the network names."""
     ship_package(spark)
     named = docs.withColumn("_lang", langid.language_column(docs, langid.fit(docs)))
     rest = named.filter(F.col("_lang.lang_pred") != langid.UNDETERMINED)
-    return rest.withColumn("lang", F.col("_lang.lang_pred")).select(*docs.columns)
+    return rest.withColumn("lang", F.coalesce("lang", "_lang.lang_pred")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,7 +195,7 @@ def language_column(df: DataFrame, network: Network | None, text_col: str = "tex
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, "lang_pred string, score double")(F.col(text_col).cast("string"))
+    return F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()(F.col(text_col).cast("string"))
 
 
 def predict_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
