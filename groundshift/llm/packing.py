@@ -14,6 +14,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -42,31 +43,40 @@ class WordBPE:
         self.latin = re.compile(build(LATIN_L, LATIN_N, LATIN_S))
         self.any = regex.compile(build("\\p{L}", "\\p{N}", SPACE))
         self.memo: dict[str, bytes] = {}
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.ending = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
+        self.ending[[i for piece, i in spec["model"]["vocab"].items() if piece.endswith(suffix)]] = True
         self.room = memo
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split: list[list[str] | None] = []
-        fresh: set[str] = set()
         for text in texts:
             if any(a in text for a in self.added):
                 split.append(None)
-                continue
-            if is_latin(text):
-                words = self.latin.findall(text.lower())
+            elif is_latin(text):
+                split.append(self.latin.findall(text.lower()))
             else:
                 # The library lowers each character by itself: no final sigma.
-                words = self.any.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-            split.append(words)
-            fresh.update(w for w in set(words) if w not in self.memo)
+                split.append(self.any.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()))
+        present = set().union(*(words for words in split if words))
+        fresh = present.difference(self.memo)
         if fresh:
             if len(self.memo) + len(fresh) > self.room:
-                self.memo = {w: self.memo[w] for w in {w for words in split if words for w in words} if w in self.memo}
-            new = list(fresh)
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.memo[w] = array("I", e.ids).tobytes()
+                self.memo = {w: self.memo[w] for w in present if w in self.memo}
+            self._learn(list(fresh))
         return [self._whole(t) if words is None else b"".join(map(self.memo.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode words in one call, as a text of words; tokens that end a word tell them apart."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ending[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            self.memo.update((w, self._whole(w)) for w in words)
+            return
+        flat, cuts = ids.tobytes(), (ends * 4).tolist()
+        self.memo.update(zip(words, [flat[i:j] for i, j in zip([0, *cuts], cuts, strict=False)], strict=True))
+
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
