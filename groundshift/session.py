@@ -38,4 +38,6 @@ def ship_package(spark: SparkSession) -> None:
         for path in sorted(here.rglob("*.py")):
             z.write(path, path.relative_to(here.parent))
     context.addPyFile(target)
+    # Batches between the JVM and Python workers by size: long texts must not fill an executor's memory.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     context._groundshift_shipped = True
