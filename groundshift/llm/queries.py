@@ -68,8 +68,8 @@ _NEAR = """with recursive w as (select doc_id, list_filter(regexp_split_to_array
  n as (select doc_id, count(*) as n from s group by 1),
  shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
  link as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
- both as (select a, b from link union all select b, a from link),
- reach as (select doc_id, doc_id as r from documents union select reach.doc_id, both.b from reach join both on both.a = reach.r)
+ sym as (select a, b from link union all select b, a from link),
+ reach as (select doc_id, doc_id as r from documents union select reach.doc_id, sym.b from reach join sym on sym.a = reach.r)
  select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, d.doc_id = m.component_id as kept from documents d left join n using (doc_id) join (select doc_id, min(r) as component_id from reach group by 1) m using (doc_id)"""
 
 _WARC = """with p as (select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as n from pages), t as (select h, max(page_id) as top from p where n >= 1000 group by h)
