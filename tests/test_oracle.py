@@ -3,7 +3,7 @@
 import pytest
 from oracle import compare, connect
 
-from groundshift.plans import catalog, catalog_more  # noqa: F401
+from groundshift.plans import catalog, catalog_more, catalog_workflows  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

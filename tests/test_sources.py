@@ -102,3 +102,29 @@ def test_tables(spark):
 
 def test_osm_queries():
     assert osm.query_text("rivers", (77.9, 30.2, 78.1, 30.4)) == '[out:json][timeout:60];way["waterway"~"^(river|stream|canal)$"](30.2,77.9,30.4,78.1);out geom;'
+
+
+def test_gpkg_round_trip(spark, tmp_path):
+    from groundshift.operators import vector
+    from groundshift.sources import gpkg
+
+    df = spark.range(2).select(F.format_string("c%d", "id").alias("name"), vector.box_ring(F.col("id"), F.lit(0), F.col("id") + 1, F.lit(2)).alias("ring"))
+    gpkg.write(df, f"{tmp_path}/a.gpkg", "cells", 32644)
+    back = gpkg.read(spark, f"{tmp_path}/a.gpkg", "cells")
+    assert back.select("name", "ring").collect() == df.collect() and back.first().srid == 32644
+
+
+def test_boundary_chains_open_ways(spark):
+    from groundshift.plans import workflows
+
+    p = lambda *xy: [(float(x), float(y)) for x, y in xy]
+    ways = spark.createDataFrame([(1, p((0, 0), (1, 0), (1, 1))), (2, p((0, 0), (0, 1), (1, 1))), (3, p((5, 5), (6, 6)))], "osm_id long, geom array<struct<x:double,y:double>>")
+    rings = workflows.boundary(ways).collect()
+    assert len(rings) == 1 and len(rings[0].ring) == 5
+
+
+def test_workflow_needs_months(spark):
+    from groundshift.plans import workflows
+
+    with pytest.raises(ValueError, match="months"):
+        workflows.epoch_composite(spark.range(1), "t1", month_balanced=True)
