@@ -23,7 +23,7 @@ U64 = np.uint64
 WEIGHTS = np.array([(xxhash.xxh64_intdigest(b"word %d" % i) | 1) for i in range(WORDS)], U64)
 RING = np.uint32(0x9E3779B1)
 #: Shingles in one in-memory group; larger groups of candidates are dealt out as pairs of blocks.
-GROUP_SHINGLES = 3_000_000
+GROUP_SHINGLES = 1_500_000
 
 
 class WordHashes(dict):
@@ -31,7 +31,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 100_000:
             self[word] = value
         return value
 
