@@ -21,24 +21,25 @@ MARK = "▁"
 class UnigramTrie:
     """Counts of the best segmentation: highest sum of piece scores, then fewest tokens.
 
-    A piece's score is -log(place in the vocabulary + 1), as the public vocabulary file has ranks, no probabilities. A
+    A piece's score is -log(place in the vocabulary + 2), below zero, as the public vocabulary file has ranks, no probabilities. A
     character that no piece covers becomes its UTF-8 bytes, each a token with a score below all pieces.
     """
 
-    def __init__(self, pieces: dict[str, float], room: int = 800_000):
+    def __init__(self, pieces: dict[str, float], room: int = 600_000):
         self.pieces, self.room = pieces, room
-        self.longest = max(map(len, pieces), default=1)
+        # Endings of pieces: a score for whole pieces, none for parts. A text that is no ending of any piece ends the search.
+        self.endings: dict[str, float | None] = {p[k:]: None for p in pieces for k in range(len(p))} | pieces
         self.byte_score = min(pieces.values(), default=0.0) - 10.0
+        self.memo: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}
         self.score, self.count = [0.0], [0]
-        self.memo: dict[str, int] = {}
 
     def insert(self, word: str) -> int:
         """The terminal node's token count; new nodes get their forward scores."""
-        child, score, count, pieces = self.child, self.score, self.count, self.pieces
+        child, score, count, endings = self.child, self.score, self.count, self.endings
         path, node = [0], 0
         for at, char in enumerate(word):
             key = node * 0x110000 + ord(char)
@@ -46,16 +47,16 @@ class UnigramTrie:
             if found is None:
                 found = child[key] = len(score)
                 best, fewest = -math.inf, 0
-                for size in range(1, min(self.longest, at + 1) + 1):
-                    piece = pieces.get(word[at + 1 - size : at + 1])
+                if endings.get(char) is None:
+                    n = len(char.encode("utf-8", "replace"))
+                    best, fewest = score[path[at]] + n * self.byte_score, count[path[at]] + n
+                for start in range(at, -1, -1):
+                    piece = endings.get(word[start : at + 1], 0.0)
+                    if piece == 0.0:
+                        break
                     if piece is None:
-                        if size > 1:
-                            continue
-                        n = len(char.encode("utf-8", "replace"))
-                        value, tokens = score[path[at]] + n * self.byte_score, count[path[at]] + n
-                    else:
-                        before = path[at + 1 - size]
-                        value, tokens = score[before] + piece, count[before] + 1
+                        continue
+                    value, tokens = score[path[start]] + piece, count[path[start]] + 1
                     if value > best or value == best and tokens < fewest:
                         best, fewest = value, tokens
                 score.append(best)
@@ -71,7 +72,10 @@ class UnigramTrie:
         for w in fresh:
             memo[w] = self.insert(MARK + w)
         total = sum(map(memo.__getitem__, words))
-        if len(self.score) > self.room or len(memo) > self.room:
+        if len(memo) > self.room:  # keep what came first: the frequent words
+            for w in fresh:
+                del memo[w]
+        if len(self.score) > self.room:
             self.clear()
         return total
 
@@ -82,7 +86,7 @@ def load(path: str) -> UnigramTrie:
 
     model = SentencePieceProcessor(model_file=path)
     usable = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return UnigramTrie({model.id_to_piece(i): -math.log(k + 1.0) for k, i in enumerate(usable)})
+    return UnigramTrie({model.id_to_piece(i): -math.log(k + 2.0) for k, i in enumerate(usable)})
 
 
 def token_counts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
