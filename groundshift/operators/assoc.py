@@ -56,10 +56,10 @@ def morans_permutation(cells: DataFrame, edges: DataFrame, value: str, permutati
     partitions of one job; nothing loops on the driver.
     """
     z = _with_totals(cells, value).select("cell_id", (F.col(value) - F.col("mean")).alias("z"))
-    numbered = z.withColumn("pos", F.row_number().over(Window.orderBy("cell_id")))
-    reps = numbered.select("cell_id", "pos", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("k"))
+    places = numbered(z, "cell_id")
+    reps = places.select("cell_id", "pos", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("k"))
     order = Window.partitionBy("k").orderBy(F.when(F.col("k") == 0, F.col("pos").cast("long")).otherwise(F.xxhash64(F.lit(seed), "k", "cell_id")), "pos")
-    dealt = reps.withColumn("take", F.row_number().over(order)).join(F.broadcast(numbered.select(F.col("pos").alias("take"), "z")), "take").select("k", "cell_id", "z")
+    dealt = reps.withColumn("take", F.row_number().over(order)).join(places.select(F.col("pos").alias("take"), "z"), "take").select("k", "cell_id", "z")
     src, dst = dealt.select("k", F.col("cell_id").alias("src"), F.col("z").alias("zi")), dealt.select("k", F.col("cell_id").alias("dst"), F.col("z").alias("zj"))
     sums = src.join(edges, "src").join(dst, ["k", "dst"]).groupBy("k").agg(F.sum(F.col("zi") * F.col("zj")).alias("cross"), F.count("*").alias("s0"))
     scale = z.agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("z")).alias("sq"))
@@ -92,16 +92,35 @@ def hotspot_rank(gi: DataFrame, top: int = 20) -> DataFrame:
     return gi.join(F.broadcast(ranks), "cell_id", "left").select("cell_id", "z", "hot_rank")
 
 
-def average_rank(value: str) -> Column:
-    low = F.rank().over(Window.orderBy(value))
-    return low + (F.count("*").over(Window.partitionBy(value)) - 1) / 2.0
+def bucketed(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
+    """Adds `bucket`: the slice between approximate quantiles that a value falls in, the same for equal values.
+
+    Windows over a bucket stay small where one over the whole table would put all rows in one task.
+    """
+    shares = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    cuts = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(value, shares, F.lit(20 * buckets)))).alias("_cuts"))
+    return df.join(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+
+
+def _before(df: DataFrame, weight: Column) -> DataFrame:
+    """bucket, before: the sum of weight in earlier buckets, of which there are few."""
+    totals = df.groupBy("bucket").agg(F.sum(weight).alias("t"))
+    return totals.select("bucket", F.coalesce(F.sum("t").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
 
 def ranked_values(df: DataFrame, value: str, name: str) -> DataFrame:
     """value and its average rank for each distinct value: ranks come from counts of distinct values, not from rows."""
-    counts = df.groupBy(value).agg(F.count("*").alias("ties"))
-    before = F.coalesce(F.sum("ties").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(value, (before + (F.col("ties") + 1) / 2.0).alias(name))
+    counts = bucketed(df.groupBy(value).agg(F.count("*").alias("ties")), value)
+    within = F.coalesce(F.sum("ties").over(Window.partitionBy("bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("within", within).join(F.broadcast(_before(counts, F.col("ties"))), "bucket")
+    return placed.select(value, (F.col("before") + F.col("within") + (F.col("ties") + 1) / 2.0).alias(name))
+
+
+def numbered(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
+    """Adds the 1-based place of each row in the order of a unique key, bucket by bucket."""
+    cut = bucketed(df, key)
+    placed = cut.withColumn("within", F.row_number().over(Window.partitionBy("bucket").orderBy(key))).join(F.broadcast(_before(cut, F.lit(1))), "bucket")
+    return placed.withColumn(name, (F.col("before") + F.col("within")).cast("int")).drop("bucket", "within", "before")
 
 
 def spearman(cells: DataFrame, a: str, b: str) -> DataFrame:

@@ -109,16 +109,24 @@ def normalize_reflectance(px: DataFrame, coefficients: DataFrame) -> DataFrame:
     return joined.withColumns({b: (F.col(b).cast("double") * F.col("scale") + F.col("offset")).cast("float") for b in BANDS}).drop("scale", "offset")
 
 
-def band_stats(composite: DataFrame, with_median: bool = False) -> DataFrame:
-    """count, min, mean and max (and median) of each band and epoch."""
+def band_stats(composite: DataFrame, with_median: bool = False, accuracy: int | None = None) -> DataFrame:
+    """count, min, mean and max (and median) of each band and epoch.
+
+    The median is exact unless an accuracy is given; an exact one keeps all distinct values of a band in memory, so
+    rasters of many distinct values need an accuracy.
+    """
     long = composite.select("epoch", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("v")) for b in BANDS])).alias("x")).select("epoch", "x.band", "x.v")
     aggs = [F.count("v").alias("n"), F.min("v").alias("min_v"), F.round(F.avg(F.col("v").cast("double")), 9).alias("mean_v"), F.max("v").alias("max_v")]
-    return long.groupBy("epoch", "band").agg(*aggs, *([F.median("v").alias("median_v")] if with_median else []))
+    return long.groupBy("epoch", "band").agg(*aggs, *([F.median("v").alias("median_v") if accuracy is None else F.percentile_approx("v", 0.5, accuracy).alias("median_v")] if with_median else []))
+
 
+def percentile_stretch(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98, accuracy: int | None = None) -> DataFrame:
+    """value stretched from its percentiles to [0, 1] and clipped; zero everywhere if they coincide.
 
-def percentile_stretch(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """value stretched from its percentiles to [0, 1] and clipped; zero everywhere if they coincide."""
-    ends = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("p")).select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    Percentiles are exact unless an accuracy is given, as large rasters need.
+    """
+    shares = F.array(F.lit(low), F.lit(high))
+    ends = df.agg((F.percentile(value, shares) if accuracy is None else F.percentile_approx(value, shares, accuracy)).alias("p")).select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
     scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value).cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo"))))
     # One row of percentiles beside every pixel.
     return df.join(F.broadcast(ends)).withColumn("stretched", F.when(F.col("hi") > F.col("lo"), F.when(F.col(value).isNotNull(), scaled)).otherwise(F.when(F.col(value).isNotNull(), 0.0))).drop("lo", "hi")

@@ -78,6 +78,12 @@ def plan_errors(plan: str) -> Column:
     return F.array_compact(F.array(*[F.when(cond, message) for cond, message in checks]))
 
 
+def planner_prompt(query: Column) -> Column:
+    """The prompt that a language model would get to make a plan; calling one is left to the user."""
+    head = f"Return one JSON object with the keys {', '.join((*PLAN_FIELDS, 'refusal_reason'))}. status is ready or refuse. Allowed metrics: {', '.join(METRICS)}. Allowed tools: {', '.join(TOOLS)}. epoch is t1, t2 or null. Refuse causal claims and forecasts. Never state numbers. Question: "
+    return F.concat(F.lit(head), query)
+
+
 def missing_fields(plan_json: Column) -> Column:
     """Required keys that a JSON plan lacks, sorted; null if it is no object."""
     keys = F.json_object_keys(plan_json)

@@ -235,7 +235,20 @@ def intersecting_pairs(left: DataFrame, right: DataFrame, bucket: float) -> Data
     return wide(left, "left").join(wide(right, "right"), ["bx", "by"]).filter(boxes_intersect(c["left"], c["right"])).drop("bx", "by").dropDuplicates(["left_id", "right_id"])
 
 
-def overlay(left: DataFrame, right_boxes: DataFrame, bucket: float) -> DataFrame:
-    """Intersection pieces of convex rings with boxes, with both ids and the piece's area."""
+def overlay(left: DataFrame, right_boxes: DataFrame, bucket: float, how: str = "intersection") -> DataFrame:
+    """Pieces of convex rings cut by boxes that don't overlap each other: both ids and the piece's area.
+
+    `intersection` has the common pieces, `difference` what each left ring has outside all boxes (right_id null),
+    `identity` both; empty pieces are left out.
+    """
+    if how not in ("intersection", "difference", "identity"):
+        raise ValueError(f"unknown overlay: {how}")
     pairs = intersecting_pairs(left, right_boxes, bucket)
-    return clip_boxes(pairs, "left_ring", "right_x0", "right_y0", "right_x1", "right_y1").select("left_id", "right_id", F.col("clipped_area").alias("area"))
+    common = clip_boxes(pairs, "left_ring", "right_x0", "right_y0", "right_x1", "right_y1").select("left_id", "right_id", F.col("clipped_area").alias("area"))
+    if how == "intersection":
+        return common
+    inside = common.groupBy("left_id").agg(F.sum("area").alias("inside"))
+    rest = left.select(F.col("id").alias("left_id"), ring_area(F.col("ring")).alias("whole")).join(inside, "left_id", "left")
+    outside = rest.withColumn("area", F.col("whole") - F.coalesce("inside", F.lit(0.0))).filter(F.col("area") > F.col("whole") * 1e-9)
+    rest = outside.select("left_id", F.lit(None).cast(common.schema["right_id"].dataType).alias("right_id"), "area")
+    return rest if how == "difference" else common.unionByName(rest)

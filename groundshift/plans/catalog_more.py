@@ -76,6 +76,11 @@ add("st_intersects_pairs", lambda s, d: vector.intersecting_pairs(_parcels(s, d)
 add("st_intersects_count", lambda s, d: vector.intersecting_pairs(_parcels(s, d), _cells(s), 100.0).agg(F.count("*").alias("n")), f"select count(*) as n from {_PARCEL}, {_CELLS} where x0 <= cx1 and cx0 <= x0 + w and y0 <= cy1 and cy0 <= y0 + h")
 add("overlay_area", lambda s, d: vector.overlay(_parcels(s, d), _cells(s), 100.0).select("left_id", "right_id", F.round("area", 6).alias("area")), f"select id as left_id, cell as right_id, round((least(x0 + w, cx1) - greatest(x0, cx0)) * (least(y0 + h, cy1) - greatest(y0, cy0)), 6) as area from {_PARCEL}, {_CELLS} where x0 < cx1 and cx0 < x0 + w and y0 < cy1 and cy0 < y0 + h")
 
+_INSIDE = f"select id as left_id, cell as right_id, (least(x0 + w, cx1) - greatest(x0, cx0)) * (least(y0 + h, cy1) - greatest(y0, cy0)) as area from {_PARCEL}, {_CELLS} where x0 < cx1 and cx0 < x0 + w and y0 < cy1 and cy0 < y0 + h"
+_OUTSIDE = f"select id as left_id, null::bigint as right_id, w * h - coalesce((select sum(area) from ({_INSIDE}) i where i.left_id = p.id), 0) as area from {_PARCEL} p where w * h - coalesce((select sum(area) from ({_INSIDE}) i where i.left_id = p.id), 0) > 0"
+add("overlay_difference", lambda s, d: vector.overlay(_parcels(s, d), _cells(s), 100.0, "difference").select("left_id", F.round("area", 6).alias("area")), f"select left_id, round(area, 6)::double as area from ({_OUTSIDE})")
+add("overlay_identity", lambda s, d: vector.overlay(_parcels(s, d), _cells(s), 100.0, "identity").select("left_id", "right_id", F.round("area", 6).alias("area")), f"select left_id, right_id, round(area, 6)::double as area from ({_INSIDE} union all {_OUTSIDE})")
+
 
 def _clip(s: SparkSession, d: str) -> DataFrame:
     window = _parcels(s, d).withColumns({"wx0": F.lit(200.0), "wy0": F.lit(100.0), "wx1": F.lit(800.0), "wy1": F.lit(900.0)})

@@ -12,6 +12,13 @@ from groundshift.plans.catalog_more import _parcels, _values
 from groundshift.plans.oracle import median, query
 from groundshift.sources import fixtures as fx
 
+
+
+def text_head() -> str:
+    """The fixed part of the planner prompt."""
+    return f"Return one JSON object with the keys {', '.join((*text.PLAN_FIELDS, 'refusal_reason'))}. status is ready or refuse. Allowed metrics: {', '.join(text.METRICS)}. Allowed tools: {', '.join(text.TOOLS)}. epoch is t1, t2 or null. Refuse causal claims and forecasts. Never state numbers. Question: "
+
+
 _MONTHS = "(select month(ts) as m from px where epoch = 't1' intersect select month(ts) from px where epoch = 't2')"
 
 
@@ -75,3 +82,4 @@ add("chunk_grid", lambda s, d: fx.spine(s).select(F.format_string("r%05d_c%05d",
 add("line_clip_labels", lambda s, d: fx.labels_ref(s, d).select("id", catalog.sampling.block_key(F.col("x"), F.col("y"), 5000.0).alias("block")), query("select id, floor(x / 5000)::bigint || ':' || floor(y / 5000)::bigint as block from labels_ref", "labels_ref"))
 add("wilson_interval", lambda s, d: catalog.accuracy.confusion(fx.labels_ref(s, d), "class_b", "class_a").agg(F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)).alias("h"), F.sum("n").alias("n")).select(*[F.round(c, 9).alias(k) for c, k in zip(catalog.accuracy.wilson_interval(F.col("h"), F.col("n")), ("low", "high"), strict=True)]), query("select round((p + 1.96e0 * 1.96e0 / (2 * n)) / (1 + 1.96e0 * 1.96e0 / n) - 1.96e0 * sqrt(p * (1 - p) / n + 1.96e0 * 1.96e0 / (4 * n * n)) / (1 + 1.96e0 * 1.96e0 / n), 9) as low, round((p + 1.96e0 * 1.96e0 / (2 * n)) / (1 + 1.96e0 * 1.96e0 / n) + 1.96e0 * sqrt(p * (1 - p) / n + 1.96e0 * 1.96e0 / (4 * n * n)) / (1 + 1.96e0 * 1.96e0 / n), 9) as high from (select sum(case when truth = predicted then n else 0 end)::double / sum(n) as p, sum(n)::double as n from conf)", "conf"))
 add("unit_of_path", lambda s, d: s.createDataFrame([(p,) for p in ("$.a_ha", "$.x.b_km2", "$.c_pct", "$.d_fraction", "$.year", "$.e")], "path string").select("path", text.unit_of_path(F.col("path")).alias("unit")), _values([("$.a_ha", "ha"), ("$.x.b_km2", "km2"), ("$.c_pct", "percent"), ("$.d_fraction", "fraction"), ("$.year", "year"), ("$.e", None)], "path, unit"))
+add("planner_prompt", lambda s, d: fx.table(s, d, "benchmark").select("item_id", text.planner_prompt(F.col("text")).alias("p")).select("item_id", F.col("p").startswith("Return one JSON object").alias("ok"), F.length("p").cast("long").alias("n")), "select item_id, true as ok, " + str(len(text_head())) + " + length(text) as n from benchmark")
