@@ -67,10 +67,10 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count_col: str, to
     limit = max(1000, total // HOT_SHARE)
     pack = F.struct(*[F.col(c) for c in value_cols])
     hot = right.filter(F.col(count_col) > limit).select(F.col(key).alias("_hot_key"), pack.alias("_hot"))
-    cold = right.filter(F.col(count_col) <= limit).select(F.col(key).alias("_cold_key"), pack.alias("_cold"))
+    cold = right.filter(F.col(count_col) <= limit).select(F.col(key).cast("string").alias("_cold_key"), pack.alias("_cold"))
     out = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     aside = F.concat(F.lit("~"), F.coalesce(F.col(spread).cast("string"), F.lit("")))
-    out = out.withColumn("_key", F.when(F.col("_hot_key").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(aside))
+    out = out.withColumn("_key", F.when(F.col("_hot_key").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(aside))
     out = out.join(cold, F.col("_key") == F.col("_cold_key"), "left")
     values = F.coalesce(F.col("_hot"), F.col("_cold"))
     return out.select(*left.columns, *[values[c].alias(c) for c in value_cols])

@@ -149,19 +149,22 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     to the shared folder after every step, until nothing changes. Nothing but a change count reaches the driver.
     """
     now = common.materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), f"{tag}-links")
-    last = None
+    last, total = None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", "n", F.least("u", "m").alias("m"))
+        # A node may have a third of all links: such ones are broadcast, fewer than 10,000 by definition.
+        large = common.join_counted(both.filter("v > u"), least, "u", "n", 2 * total, "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(low, F.col("u") == F.col("k")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         after = common.materialize(small, f"{tag}-links")
         state = after.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum("v")).first()
         common.drop(now)
-        now = after
+        now, total = after, state[0]
         if state == last:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._groundshift_path = now._groundshift_path
+            return out
         last = state
 
 
@@ -262,6 +265,8 @@ def near_duplicates(df: DataFrame, percent: int = 85, bands: int = BANDS, rows:
 
     roots = sets.join(found, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("root", "rep"))
     shared = roots.filter("copies > 1 or component_id <> rep").select("set_digest", "copies", "component_id")
-    out = common.join_counted(docs.select("doc_id", "n_shingles", "set_digest"), common.materialize(shared, "shared"), "set_digest", "copies", total, "doc_id")
+    shared = common.materialize(shared, "shared")
+    common.drop(sets, classes, members, dealt, found)
+    out = common.join_counted(docs.select("doc_id", "n_shingles", "set_digest"), shared, "set_digest", "copies", total, "doc_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
