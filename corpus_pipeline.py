@@ -12,16 +12,16 @@ from groundshift.session import ship_package
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, no letter) go; a null lang becomes the one that the network names."""
     ship_package(spark)
-    named = docs.withColumn("_lang", langid.language_column(docs, langid.fit(docs)))
-    rest = named.filter(F.col("_lang.lang_pred") != langid.UNDETERMINED)
-    return rest.withColumn("lang", F.coalesce("lang", "_lang.lang_pred")).select(*docs.columns)
+    named = docs.withColumn("_groundshift_lang", langid.language_column(docs, langid.fit(docs)))
+    rest = named.filter(F.col("_groundshift_lang.lang_pred") != langid.UNDETERMINED)
+    return rest.withColumn("lang", F.coalesce("lang", "_groundshift_lang.lang_pred")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: the one with the smallest id."""
     ship_package(spark)
-    gone = neardup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = neardup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_groundshift_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_groundshift_gone"], "left_anti")
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

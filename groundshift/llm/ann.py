@@ -331,4 +331,6 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, tables: int = 8, target
     if short.count():
         again = rows.join(short.withColumnRenamed("vec_id", "short_id"), F.col("vec_id") == F.col("short_id"), "left").select("vec_id", "vec", F.col("short_id").isNotNull().alias("ask"))
         found = found.join(short, F.col("query_id") == F.col("vec_id"), "left_anti").unionByName(searched(again, True))
+    else:
+        common.drop(rows)
     return found.select("query_id", F.posexplode("found").alias("pos", "f")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "f.vec_id", (-F.col("f.less") + F.lit(0.0)).alias("score"))
