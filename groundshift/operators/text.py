@@ -28,8 +28,21 @@ REFUSED = r"\b(cause\w*|lead to|leads to|led to|result\w* in|forecast\w*|predict
 CAUSAL = ("cause", "caused", "causes", "causing", "led to", "lead to", "leads to", "resulted in", "results in", "will flood", "flood risk", "responsible for", "drove", "drives", "triggered", "triggers", "due to", "because of")
 REFUSED_REASON = "Causal claims and flood forecasts are outside the supported fixture workflow."
 UNKNOWN_REASON = "No supported metric was identified."
+# What counts as a number in a narrative, and the units that may follow one.
 NUMBER = r"(?<![A-Za-z_])[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?"
 UNIT_AFTER = r"(?i)^\s*(%|percent\b|ha\b|hectares?\b|km²|km2\b|km\^2\b)"
+# The messages of plan validation, in the order of the checks.
+PLAN_MESSAGES = (
+    "ready plans must use query_result intent",
+    "ready plan metric_id is not allowlisted",
+    "epoch must be null, t1, or t2",
+    "AOI is not allowlisted",
+    "ready plan must request exactly the allowlisted retrieval/result tools",
+    "ready plan must not contain a refusal reason",
+    "refused plan needs a reason",
+    "refused plan must not request tools or metrics",
+    "status must be ready or refuse",
+)
 PLAN_FIELDS = ("status", "intent", "metric_id", "epoch", "aoi", "tools")
 #: Words that retrieval ignores; any list can be given instead.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "into", "is", "it", "its", "not", "of", "on", "or", "than", "that", "the", "their", "then", "there", "these", "this", "to", "was", "were", "what", "when", "which", "will", "with")
@@ -64,18 +77,18 @@ def plan_errors(plan: str) -> Column:
     ready, refuse = F.coalesce(p("status") == "ready", F.lit(False)), F.coalesce(p("status") == "refuse", F.lit(False))
     asked = F.array_sort(F.array_distinct(F.coalesce(p("tools"), F.array().cast("array<string>"))))
     allowed = F.array(*[F.lit(t) for t in sorted(TOOLS)])
-    checks = [
-        (ready & ~p("intent").eqNullSafe(F.lit("query_result")), "ready plans must use query_result intent"),
-        (ready & ~F.coalesce(p("metric_id").isin(*METRICS), F.lit(False)), "ready plan metric_id is not allowlisted"),
-        (ready & ~F.coalesce(p("epoch").isin("t1", "t2"), F.lit(True)), "epoch must be null, t1, or t2"),
-        (ready & ~F.coalesce(p("aoi") == AOI, F.lit(True)), "AOI is not allowlisted"),
-        (ready & (asked != allowed), "ready plan must request exactly the allowlisted retrieval/result tools"),
-        (ready & p("refusal_reason").isNotNull(), "ready plan must not contain a refusal reason"),
-        (refuse & (F.coalesce(F.trim(p("refusal_reason")), F.lit("")) == ""), "refused plan needs a reason"),
-        (refuse & (~F.coalesce(F.size(p("tools")) == 0, F.lit(False)) | p("metric_id").isNotNull()), "refused plan must not request tools or metrics"),
-        (~ready & ~refuse, "status must be ready or refuse"),
+    found = [
+        ready & ~p("intent").eqNullSafe(F.lit("query_result")),
+        ready & ~F.coalesce(p("metric_id").isin(*METRICS), F.lit(False)),
+        ready & ~F.coalesce(p("epoch").isin("t1", "t2"), F.lit(True)),
+        ready & ~F.coalesce(p("aoi") == AOI, F.lit(True)),
+        ready & (asked != allowed),
+        ready & p("refusal_reason").isNotNull(),
+        refuse & (F.coalesce(F.trim(p("refusal_reason")), F.lit("")) == ""),
+        refuse & (~F.coalesce(F.size(p("tools")) == 0, F.lit(False)) | p("metric_id").isNotNull()),
+        ~ready & ~refuse,
     ]
-    return F.array_compact(F.array(*[F.when(cond, message) for cond, message in checks]))
+    return F.array_compact(F.array(*[F.when(wrong, message) for wrong, message in zip(found, PLAN_MESSAGES, strict=True)]))
 
 
 def planner_prompt(query: Column) -> Column:
