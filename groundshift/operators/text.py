@@ -160,8 +160,8 @@ def number_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # The text after each token is found by cutting the text at the tokens.
     pieces = F.split(text_col, NUMBER)
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(NUMBER), F.lit(0))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.struct(F.element_at(tokens, i).alias("token"), F.element_at(pieces, i + 1).alias("rest")))
-    out = df.select(id_col, F.posexplode(F.when(F.size(tokens) > 0, pairs)).alias("pos", "t"))
+    pairs = F.zip_with(tokens, F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda t, r: F.struct(t.alias("token"), F.coalesce(r, F.lit("")).alias("rest")))
+    out = df.select(id_col, F.posexplode(F.filter(pairs, lambda p: p["token"].isNotNull())).alias("pos", "t"))
     raw = F.lower(F.regexp_extract("t.rest", UNIT_AFTER, 1))
     unit = F.when(raw.isin("%", "percent"), "percent").when(raw.startswith("ha") | raw.startswith("hectare"), "ha").when(raw != "", "km2").when(F.col("t.token").endswith("%"), "percent")
     return out.select(id_col, "pos", F.col("t.token").alias("token"), number_key(F.col("t.token")).alias("number"), unit.alias("stated_unit"))
@@ -188,8 +188,9 @@ def causal_terms(text: Column, terms: tuple[str, ...] = CAUSAL) -> Column:
 def grams(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Words of two and more letters or digits without stop words, then pairs of what is left."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*stop_words))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat(F.element_at(words, i), F.lit(" "), F.element_at(words, i + 1)))
-    return F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words)
+    # A lambda variable, so that the text is cut into words once.
+    both = F.transform(F.array(words), lambda w: F.concat(w, F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda x, y: F.concat(x, F.lit(" "), y))))
+    return F.filter(F.element_at(both, 1), lambda g: g.isNotNull())
 
 
 def tfidf_topk(chunks: DataFrame, questions: DataFrame, top_k: int = 3, digits: int = 9) -> DataFrame:
