@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,36 +84,29 @@ def clip_raster(source: DataFrame, target: DataFrame, value: str, ring: DataFram
 def boundary(ways: DataFrame) -> DataFrame:
     """Outer rings of a boundary's ways: closed ways as they are, open ones chained where ends meet.
 
-    A boundary has few ways; the chain is a fold over one row's array.
+    A boundary has few ways; they are chained in one row.
     """
-    import pandas as pd
-
-    def chain(lines: pd.Series) -> pd.Series:
-        def rings(parts: list) -> list:
-            left, done = [[(p["x"], p["y"]) for p in g] for g in parts if len(g) > 1], []
-            while left:
-                ring = left.pop(0)
-                while ring[0] != ring[-1]:
-                    for k, other in enumerate(left):
-                        if other[0] == ring[-1] or other[-1] == ring[-1]:
-                            ring += (other if other[0] == ring[-1] else other[::-1])[1:]
-                            left.pop(k)
-                            break
-                    else:
+    def rings(parts: list) -> list:
+        left, done = [[(p["x"], p["y"]) for p in g] for g in parts if len(g) > 1], []
+        while left:
+            ring = left.pop(0)
+            while ring[0] != ring[-1]:
+                for k, other in enumerate(left):
+                    if other[0] == ring[-1] or other[-1] == ring[-1]:
+                        ring += (other if other[0] == ring[-1] else other[::-1])[1:]
+                        left.pop(k)
                         break
-                if ring[0] == ring[-1] and len(ring) > 3:
-                    done.append([{"x": x, "y": y} for x, y in ring])
-            return done
-
-        return lines.map(rings)
-
-    one = ways.orderBy("osm_id").agg(F.collect_list("geom").alias("lines"))
-    typed = F.pandas_udf(_typed(chain), "array<array<struct<x:double,y:double>>>").asNondeterministic()
-    return one.select(F.posexplode(typed("lines")).alias("ring_id", "ring"))
-
-
-def _typed(f):
-    import pandas as pd
-
-    f.__annotations__ = {"lines": pd.Series, "return": pd.Series}
-    return f
+                else:
+                    break
+            if ring[0] == ring[-1] and len(ring) > 3:
+                done.append([{"x": x, "y": y} for x, y in ring])
+        return done
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+        for batch in batches:
+            found = [r for lines in batch.column(0).to_pylist() for r in rings(lines)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array(found, point)], names=["ring_id", "ring"])
+
+    one = ways.agg(F.array_sort(F.collect_list(F.struct("osm_id", "geom"))).alias("w")).select(F.transform("w", lambda w: w["geom"]).alias("lines"))
+    return one.mapInArrow(run, "ring_id int, ring array<struct<x:double,y:double>>")
