@@ -28,11 +28,12 @@ def majority_filter(classes: DataFrame, window: int = 3, nodata: int = 0) -> Dat
     return best.withColumn("class_id", most).filter("class_id is not null").select("row", "col", "class_id")
 
 
-def component_labels(classes: DataFrame, connectivity: int = 4, tile: int = 256, most_rounds: int = 64) -> DataFrame:
+def component_labels(classes: DataFrame, connectivity: int = 4, tile: int = 256) -> DataFrame:
     """row, col, class_id, label: the smallest pixel number of each connected patch of one class.
 
     Patches are labelled inside tiles in one pass; the pairs of labels that meet across tile edges are few, and their
-    components come from rounds of smallest-neighbour joins on that small table.
+    components come from rounds of smallest-neighbour joins on that small table, until no label moves. Each round also
+    takes a root's own root, so that labels cross long patches in doubling steps.
     """
     width = 1 << 31
     full = connectivity == 8
@@ -73,9 +74,11 @@ def component_labels(classes: DataFrame, connectivity: int = 4, tile: int = 256,
     roots = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
     spark = classes.sparkSession
     durable = spark.sparkContext.getCheckpointDir() is not None
-    for _ in range(most_rounds):
+    while True:
         lower = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        after = roots.join(lower, F.col("node") == F.col("a")).select("node", F.least("root", "low").alias("root"), (F.col("low") < F.col("root")).alias("moved"))
+        lowered = roots.join(lower, F.col("node") == F.col("a")).select("node", F.least("root", "low").alias("low"), "root")
+        above = roots.select(F.col("node").alias("k"), F.col("root").alias("next"))
+        after = lowered.join(above, F.col("low") == F.col("k")).select("node", F.col("next").alias("root"), (F.col("next") < F.col("root")).alias("moved"))
         after = after.checkpoint() if durable else after.cache()
         moved = after.filter("moved").limit(1).count()
         roots = after.drop("moved")
