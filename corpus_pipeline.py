@@ -10,10 +10,14 @@ from groundshift.session import ship_package
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, no letter) go; a null lang becomes the one that the network names."""
+    """Documents without a language (no text, no letter) go; a null lang becomes the one that the network names.
+
+    Where no row can be learned from there is no network: texts with a letter stay, and a null lang becomes `und`.
+    """
     ship_package(spark)
-    named = docs.withColumn("_groundshift_lang", langid.language_column(docs, langid.fit(docs)))
-    rest = named.filter(F.col("_groundshift_lang.lang_pred") != langid.UNDETERMINED)
+    network = langid.fit(docs)
+    named = docs.withColumn("_groundshift_lang", langid.language_column(docs, network))
+    rest = named.filter(F.col("_groundshift_lang.lang_pred") != langid.UNDETERMINED if network else F.col("text").rlike(r"\p{L}"))
     return rest.withColumn("lang", F.coalesce("lang", "_groundshift_lang.lang_pred")).select(*docs.columns)
 
 
