@@ -158,7 +158,7 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(low, F.col("u") == F.col("k")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         after = common.materialize(small, f"{tag}-links")
-        state = after.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum("v")).first()
+        state = after.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first()
         common.drop(now)
         now, total = after, state[0]
         if state == last:
