@@ -76,14 +76,14 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count_col: str, to
     return out.select(*left.columns, *[values[c].alias(c) for c in value_cols])
 
 
-def join_salted(left: DataFrame, right: DataFrame, key: str, right_key: str, spread: str, how: str = "inner") -> DataFrame:
-    """Join left with a right side of unique keys of which some may have a large share of left's rows.
+def join_salted(left: DataFrame, right: DataFrame, key: str, right_key: str, spread: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """Join left (of `total` rows) with a right side of unique keys of which some may have a large share of left's rows.
 
     Such keys, with more than total/HOT_SHARE rows and so fewer than HOT_SHARE, are broadcast with the number of parts
     that their rows are dealt over by `spread`; only the right rows of these keys are repeated, once for each part.
     """
     counts = left.groupBy(F.col(key).alias("_salt_key")).agg(F.count("*").alias("_n"))
-    limit = max(1000, left.count() // HOT_SHARE)
+    limit = max(1000, (left.count() if total is None else total) // HOT_SHARE)
     hot = F.broadcast(materialize(counts.filter(F.col("_n") > limit).select("_salt_key", F.ceil(F.col("_n") / limit).cast("int").alias("_parts")), "hot"))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     dealt = left.join(hot, F.col(key) == F.col("_salt_key"), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_salt_key", "_parts")
