@@ -196,7 +196,7 @@ def _verified(members: DataFrame, percent: int, parts: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, sets, sides = None, [], [], []
+        group, ids, sets, sides, seen = None, [], [], [], set()
 
         def links() -> Iterator[pa.RecordBatch]:
             if len(ids) > 1:
@@ -208,9 +208,12 @@ def _verified(members: DataFrame, percent: int, parts: int) -> DataFrame:
             for g, side, doc, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g != group:
                     yield from links()
-                    group, ids, sets, sides = g, [], [], []
+                    group, ids, sets, sides, seen = g, [], [], [], set()
+                if (doc, digest) in seen:
+                    continue
                 hashes = shingles(text)
-                if doc not in ids[-1:] and xxhash.xxh3_128_hexdigest(hashes.tobytes()) == digest:
+                if xxhash.xxh3_128_hexdigest(hashes.tobytes()) == digest:
+                    seen.add((doc, digest))
                     ids.append(doc)
                     sets.append(hashes)
                     sides.append(side)
