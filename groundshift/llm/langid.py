@@ -115,18 +115,18 @@ def train(x: np.ndarray, y: np.ndarray, langs: tuple[str, ...], epochs: int = 6,
     return Network(langs, tuple(params[: len(WIDTHS)]), *params[len(WIDTHS) :])
 
 
-def fit(df: DataFrame, per_lang: int = 1000, each: int = 6, most_langs: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
+def fit(df: DataFrame, per_lang: int = 1000, each: int = 6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Train on rows with a language that are not held out.
 
-    The sample is bounded: about `per_lang` rows of each of the `most_langs` most frequent languages, picked by a hash
-    of the id, and of each row `each` windows spread over its whole text. None if no row can be learned from.
+    The sample is bounded: about `per_lang` rows of each language that a label names, picked by a hash of the id, and of
+    each row `each` windows spread over its whole text. None if no row can be learned from.
     """
     known = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_lang / n))])
+    share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, per_lang / n))])
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * 1_000_000)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,8 @@ def fit(df: DataFrame, per_lang: int = 1000, each: int = 6, most_langs: int = 64
 def identify(df: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred and score (the mean probability of the windows, 0 to 1) of every whole text.
 
-    `und` with score 0 for a null text, one without a letter, or if there is no network. Repeated rows and null ids
+    `und` with score 0 for a null text, one without a letter, or if there is no network. Of equally likely languages the
+    first by name is given. Repeated rows and null ids
     give a row each; an empty table gives an empty one; columns other than the two and `keep` don't matter.
     """
 
