@@ -24,10 +24,20 @@ from pyspark.sql import functions as F
 from groundshift.llm import common
 from groundshift.llm.bpe import CONTRACTIONS, LATIN_L, LATIN_N, LATIN_S, SPACE, is_latin
 
-#: Items that a task keeps in memory at once (about 150 bytes each).
+#: Pieces that a task keeps in memory at once (about 150 bytes each), however many make up an item.
 BUFFER = 400_000
 
 
+@functools.cache
+def newer() -> regex.Pattern:
+    """Letters and numbers younger than Unicode 3.2: Unicode versions differ on them, so the library itself splits such texts."""
+    known = regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x100, 0x110000) if not 0xD800 <= c < 0xE000))
+    codes = [ord(c) for c in known if unicodedata.ucd_3_2_0.category(c)[0] not in "LN"]
+    cuts = [k for k in range(1, len(codes)) if codes[k] != codes[k - 1] + 1]
+    runs = [(codes[i], codes[j - 1]) for i, j in zip([0, *cuts], [*cuts, len(codes)], strict=True)]
+    return regex.compile("[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in runs) + "]")
+
+
 class WordBPE:
     """Ids of the public lower-casing word vocabulary, by the tokenizers library; a bounded memo of words spares most calls."""
 
@@ -56,6 +66,8 @@ class WordBPE:
                 split.append(None)
             elif is_latin(text):
                 split.append(self.latin.findall(text.lower()))
+            elif newer().search(text):
+                split.append(None)
             else:
                 # The library lowers each character by itself: no final sigma.
                 split.append(self.any.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()))
@@ -133,7 +145,8 @@ def pack_documents(
 
     Tokenization and the first packing are one pass without a shuffle. Bins with more than `slack` tokens of room then
     go up the tree: each round merges `fan_in` groups, packs their bins as items and stops at one group or when a
-    round saves under a thousandth of the bins; a group never holds more than about `group_bins` bins, whatever the
+    round saves under a thousandth of the bins, after `max_rounds` rounds at the latest; nothing is lost by that, the
+    sequences are only less full. A group never holds more than about `group_bins` bins, whatever the
     input, as further mixing no longer changes the fill. Each round's bins are written to the shared folder.
     """
 
@@ -162,7 +175,7 @@ def pack_documents(
 
         for batch in batches:
             items += [(f, [(m["doc_id"], m["piece"], m["start"], m["length"], m["ids_crc32"]) for m in ms]) for f, ms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            if len(items) >= BUFFER:
+            if sum(len(ms) for _, ms in items) >= BUFFER:
                 yield from packed()
                 items = []
         yield from packed()
