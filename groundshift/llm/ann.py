@@ -56,6 +56,7 @@ class Family:
     width: float
     tables: int
     k: int
+    unit: float = 1.0
     seed: int = 7
     axes: np.ndarray = field(init=False)
     shifts: np.ndarray = field(init=False)
@@ -68,10 +69,13 @@ class Family:
         self.keys = rng.integers(1 << 62, size=self.k, dtype=np.int64) * 2 + 1
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
+        """Points in units of the largest component of all, so that no square overflows."""
+        x = x / self.unit
         rest = np.sqrt(np.maximum(0, self.norm**2 - (x * x).sum(axis=1)))
         return np.hstack([x, rest[:, None]])
 
     def scaled(self, q: np.ndarray) -> np.ndarray:
+        q = q / np.abs(q).max(axis=1, keepdims=True)
         size = np.sqrt((q * q).sum(axis=1, keepdims=True))
         return np.hstack([q / size * self.norm, np.zeros((len(q), 1))])
 
@@ -101,14 +105,16 @@ def mixed(keys: np.ndarray) -> np.ndarray:
 
 def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed in one order whatever the block: equal vectors score equally."""
-    return (vectors * query).sum(axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return (vectors * query).sum(axis=1)
 
 
 def best(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k candidates of largest inner product, ties to the smaller id; repeated rows count once."""
-    rough = vectors @ query
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = vectors @ query
     whole = ids, vectors
-    if len(rough) > 4 * k:
+    if len(rough) > 4 * k and np.isfinite(rough).all():
         cut = np.partition(rough, len(rough) - 2 * k)[len(rough) - 2 * k]
         near = rough >= cut - 1e-9 * max(1.0, abs(cut))
         ids, vectors = ids[near], vectors[near]
@@ -135,20 +141,23 @@ def matrix(column: pa.Array, kind: str, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.float64)
 
 
-def vectors_of(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, str, int, int, float, float]:
-    """Rows that take part (vec_id, vec array), the element kind, dimension, number, largest and mean square norm.
+def vectors_of(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, str, int, int, float, float, float]:
+    """Rows that take part (vec_id, vec array), the element kind, dimension, number, largest component and, in units of it, largest and root mean square norm.
 
     Vectors that are null, zero, of another length than most, or hold null, NaN or infinite components are left out.
     """
     kind = "<f4" if isinstance(df.schema[vec_col].dataType.elementType, T.FloatType) else "<f8"
     element = "float" if kind == "<f4" else "double"
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{element}>").alias("vec")).filter("vec_id is not null and vec is not null")
-    rows = rows.filter("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('inf'))").withColumn("square", F.expr("aggregate(vec, 0d, (a, x) -> a + double(x) * double(x))")).filter("square > 0 and square < double('inf')")
-    top = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max("square").alias("most"), F.avg("square").alias("mean")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    rows = rows.filter("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(vec, x -> x <> 0)")
+    top = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(F.expr("array_max(transform(vec, x -> abs(double(x))))")).alias("unit")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not top:
-        return rows.select("vec_id", "vec"), kind, 0, 0, 0.0, 0.0
-    dim, n, most, mean = top[0]
-    return rows.filter(F.size("vec") == dim).select("vec_id", "vec"), kind, dim, n, math.sqrt(most), math.sqrt(mean)
+        return rows.select("vec_id", "vec"), kind, 0, 0, 1.0, 0.0, 0.0
+    dim, n, unit = top[0]
+    rows = rows.filter(F.size("vec") == dim)
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x.cast("double") / F.lit(unit)) * (x.cast("double") / F.lit(unit)))
+    most, mean = rows.agg(F.max(square), F.avg(square)).first()
+    return rows.select("vec_id", "vec"), kind, dim, n, unit, math.sqrt(most), math.sqrt(mean)
 
 
 def as_matrix(column: pa.ListArray, dim: int) -> np.ndarray:
@@ -178,14 +187,17 @@ def brute_force(rows: DataFrame, queries: list[tuple[int, np.ndarray]], dim: int
     return found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("less", "vec_id", "vec"))), 1, k).alias("found"))
 
 
-def calibrate(rows: DataFrame, dim: int, n: int, norm: float, spread: float, k: int, tables: int, target: float, sample: int) -> tuple[Family, np.ndarray]:
-    """The hash family and the probe sequence whose recall on a bounded sample of queries, by brute force, meets the target."""
+def calibrate(rows: DataFrame, dim: int, n: int, unit: float, norm: float, spread: float, k: int, tables: int, target: float, sample: int) -> tuple[Family, np.ndarray | None]:
+    """The hash family and the probe sequence whose recall on a bounded sample of queries, by brute force, meets the target.
+
+    No sequence if none meets it: then every group must be searched, which is exact.
+    """
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     queries = [(r.vec_id, np.asarray(r.vec, np.float64)) for r in picked]
     truth = {r.query_id: np.array([f.vec for f in r.found]).reshape(-1, dim) for r in brute_force(rows, queries, dim, k).collect()}
     cuts = max(1, round(0.6 * math.log2(max(2, n))))
     while True:
-        family, order = Family(dim, norm, 2 * spread, tables, cuts), probe_order(cuts, MOST_PROBES)
+        family, order = Family(dim, norm, 2 * spread, tables, cuts, unit), probe_order(cuts, MOST_PROBES)
         first = np.full(sum(len(t) for t in truth.values()), len(order))
         for table in range(tables):
             at = 0
@@ -199,8 +211,10 @@ def calibrate(rows: DataFrame, dim: int, n: int, norm: float, spread: float, k:
         probes = 8
         while probes < len(order) and len(first) and (first < probes).mean() < target:
             probes *= 2
-        if cuts == 1 or not len(first) or (first < min(probes, len(order))).mean() >= target:
+        if not len(first) or (first < min(probes, len(order))).mean() >= target:
             return family, order[:probes]
+        if cuts == 1:
+            return family, None
         cuts -= 1
 
 
@@ -214,14 +228,15 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, tables: int = 8, target
     Every row is indexed once in each table and shuffled by groups of buckets that fit in memory; a bucket larger than
     a group is dealt over several, whose number follows its count (fewer than 10,000 such buckets by definition). Each
     task keeps only a query's best k of a group. The number of probes is set on `sample` queries against brute force
-    over all rows to a recall of `target`. Queries that found fewer than k rows are searched in all groups.
+    over all rows to a recall of `target`; where none reaches it, and for queries that found fewer than k rows, all groups
+    are searched. Products that overflow score infinitely, ties among them to the smaller vec_id.
     """
     spark = df.sparkSession
-    rows, kind, dim, n, norm, spread = vectors_of(df, id_col, vec_col)
+    rows, kind, dim, n, unit, norm, spread = vectors_of(df, id_col, vec_col)
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = common.materialize(rows, "vectors")
-    family, order = calibrate(rows, dim, n, norm, spread, k, tables, target, sample)
+    family, order = calibrate(rows, dim, n, unit, norm, spread, k, tables, target, sample)
     per_shard = max(1024, SHARD_BYTES // (8 * dim))
     shards = -(-n // per_shard)
 
@@ -325,7 +340,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, tables: int = 8, target
         merged = wide.repartition(min(parts, max(1, tables * shards)), "table", "shard").sortWithinPartitions("table", "shard", "kind").mapInArrow(search, FOUND_DDL)
         return merged.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
 
-    found = common.materialize(searched(rows.withColumn("ask", F.col("vec_id") % every == 0), False), "found")
+    found = common.materialize(searched(rows.withColumn("ask", F.col("vec_id") % every == 0), order is None), "found")
     asked = rows.filter(F.col("vec_id") % every == 0).select("vec_id").distinct()
     short = asked.join(found.filter(F.size("found") >= min(k, n - 1)), F.col("vec_id") == F.col("query_id"), "left_anti")
     if short.count():
