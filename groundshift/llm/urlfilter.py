@@ -41,8 +41,9 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], default: str =
     URLs give a row each; an empty table gives an empty one; other columns don't matter.
 
     One scan and one shuffle: expressions are expanded next to the scan and summed up by page before the exchange, so
-    a hot host costs no more than any other. Path prefixes are cut at the lengths that rules have, so a URL gives at
-    most (labels of its host) x (distinct rule path lengths) expressions.
+    a hot host costs no more than any other. Host suffixes are cut at the numbers of labels that rules have and path
+    prefixes at their lengths, so a URL of any length gives at most (distinct numbers of labels in rules) x (distinct
+    rule path lengths) expressions.
     """
     spark = df.sparkSession
     table = spark.createDataFrame([(v, h, p) for v, h, p in rules] or [("", "", "")], "verdict string, host string, path string").filter("verdict <> ''")
@@ -54,8 +55,9 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], default: str =
     lengths = F.array(*[F.lit(n) for n in sorted({len(p) for _, _, p in rules})]).cast("array<int>")
 
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), url_host(F.col(url_col).cast("string")).alias("host"), url_path(F.col(url_col).cast("string")).alias("path"))
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    depths = F.array(*[F.lit(n) for n in sorted({h.count(".") + 1 for _, h, _ in rules})]).cast("array<int>")
+    dots = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit("")))
+    hosts = F.transform(F.filter(depths, lambda n: n <= dots + 1), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     paths = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     pairs = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("h"), p.alias("p")))))
     # The first expression stands for the row itself, so that rows without any are kept and repeated rows are counted.
