@@ -1,8 +1,10 @@
 """WARC archives as a PySpark data source, and the writer that makes them.
 
 Reading plans partitions over files and byte ranges of records, takes record-type and header predicates from the
-optimizer, parses headers first and steps over the payloads of records that no one wants: each record is a gzip member
-of its own whose extra field holds its length, so a skipped one is neither read nor decompressed.
+optimizer, parses headers first and steps over the payloads of records that no one wants. In archives written here each
+record is a gzip member of its own whose extra field holds its length, so a skipped one is neither read nor
+decompressed, and a manifest names ranges. Other .warc and .warc.gz files are read as they are, one task for each file:
+payloads of plain ones are stepped over, those of compressed ones inflated and thrown away.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ READ_SCHEMA = "record_id string, record_type string, target_uri string, warc_dat
 WRITE_SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, payload_digest string, refers_to string, payload_bytes long, payload binary"
 #: Columns that record headers alone decide.
 HEADER_COLUMNS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -40,7 +42,68 @@ def file_system(path: str):
         return fs.LocalFileSystem(), path
     if path.startswith("file:"):
         return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+
+
+def manifests(store, base: str) -> list[dict]:
+    """The manifests of a folder, one for each write into it."""
+    from pyarrow import fs
+
+    if store.get_file_info(base).type != fs.FileType.Directory:
+        return []
+    out = []
+    for info in sorted(store.get_file_info(fs.FileSelector(base)), key=lambda i: i.path):
+        if info.base_name.startswith(MANIFEST):
+            with store.open_input_stream(info.path, compression=None) as f:
+                out.append(json.loads(f.read()))
+    return out
+
+
+class Blocks:
+    """Bytes of a plain or gzip file, member after member, read on in steps."""
+
+    def __init__(self, f, packed: bool):
+        self.f, self.packed, self.held = f, packed, b""
+        self.inflate = zlib.decompressobj(31)
+
+    def more(self) -> bool:
+        data = self.f.read(1 << 18)
+        if not data:
+            return False
+        while self.packed and data:
+            self.held += self.inflate.decompress(data)
+            data = self.inflate.unused_data
+            if self.inflate.eof:
+                self.inflate = zlib.decompressobj(31)
+        self.held += data
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What comes before the mark; None at the end of the file."""
+        seen = 0
+        while (at := self.held.find(mark, seen)) < 0:
+            seen = max(0, len(self.held) - len(mark))
+            if not self.more():
+                if self.held.strip():
+                    raise ValueError("a WARC record breaks off in its headers")
+                return None
+        out, self.held = self.held[:at], self.held[at + len(mark) :]
+        return out
+
+    def take(self, size: int, keep: bool = True) -> bytes:
+        parts, left = [], size
+        while True:
+            part, self.held = self.held[:left], self.held[left:]
+            left -= len(part)
+            if keep:
+                parts.append(part)
+            if not left:
+                return b"".join(parts)
+            if not keep and not self.packed:
+                self.f.seek(left, 1)
+                return b""
+            if not self.more():
+                raise ValueError("a WARC record breaks off in its block")
 
 
 def gzip_member(data: bytes, level: int) -> bytes:
@@ -79,7 +142,7 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes a file of its own name; a manifest, written last, names the files of the tasks that counted."""
+    """Each task writes a file of its own name; a manifest of the write, made last, names the files of the tasks that counted."""
 
     def __init__(self, path: str, level: int):
         self.path, self.level = path.rstrip("/"), level
@@ -101,13 +164,9 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, base = file_system(self.path)
         store.create_dir(base, recursive=True)
-        known = {"files": []}
-        if store.get_file_info(f"{base}/{MANIFEST}").type.name == "File":
-            with store.open_input_stream(f"{base}/{MANIFEST}") as f:
-                known = json.loads(f.read())
-        known["files"] += [{"name": m.name, "starts": m.starts, "size": m.size} for m in messages if m and m.size]
-        with store.open_output_stream(f"{base}/{MANIFEST}", compression=None) as f:
-            f.write(json.dumps(known).encode())
+        files = [{"name": m.name, "starts": m.starts, "size": m.size} for m in messages if m and m.size]
+        with store.open_output_stream(f"{base}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as f:
+            f.write(json.dumps({"files": files}).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         store, base = file_system(self.path)
@@ -118,9 +177,12 @@ class WarcWriter(DataSourceArrowWriter):
 
 @dataclass
 class Range(InputPartition):
+    """Records from start to end of a file written here; the whole of any other file."""
+
     file: str
     start: int
     end: int
+    own: bool = True
 
 
 class WarcReader(DataSourceReader):
@@ -139,10 +201,20 @@ class WarcReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
         store, base = file_system(self.path)
-        with store.open_input_stream(f"{base}/{MANIFEST}") as f:
-            files = json.loads(f.read())["files"]
-        return [Range(f"{self.path}/{x['name']}", s, e) for x in files for s, e in zip(x["starts"], [*x["starts"][1:], x["size"]], strict=True)] or [Range("", 0, 0)]
+        known = manifests(store, base)
+        if known:
+            files = [x for m in known for x in m["files"]]
+            return [Range(f"{self.path}/{x['name']}", s, e) for x in files for s, e in zip(x["starts"], [*x["starts"][1:], x["size"]], strict=True)] or [Range("", 0, 0)]
+        info = store.get_file_info(base)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        if info.type == fs.FileType.File:
+            return [Range(self.path, 0, info.size, own=False)]
+        found = sorted((i for i in store.get_file_info(fs.FileSelector(base, recursive=True)) if i.path.endswith((".warc", ".warc.gz"))), key=lambda i: i.path)
+        return [Range(self.path + i.path[len(base.rstrip("/")) :], 0, i.size, own=False) for i in found] or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if not part.file:
@@ -156,9 +228,7 @@ class WarcReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], types.get(c, pa.string())) for c in self.columns], names=self.columns)
 
         with store.open_input_file(path) as f:
-            at = part.start
-            while at < part.end:
-                row, at = self.record(f, at)
+            for row in self.own_records(f, part) if part.own else self.records(Blocks(f, path.endswith(".gz"))):
                 if row is not None:
                     rows.append(row)
                     size += len(row.get("payload") or b"")
@@ -168,6 +238,40 @@ class WarcReader(DataSourceReader):
         if rows:
             yield batch()
 
+    def own_records(self, f, part: Range) -> Iterator[dict | None]:
+        at = part.start
+        while at < part.end:
+            row, at = self.record(f, at)
+            yield row
+
+    def records(self, blocks: Blocks) -> Iterator[dict]:
+        """Matching records of all types of an ordinary file. The payload is the block, behind its HTTP head if it has one."""
+        whole = "payload" in self.columns or "payload_bytes" in self.columns
+        while (head := blocks.until(b"\r\n\r\n")) is not None:
+            if not head.strip():
+                continue  # the two line ends behind the last block
+            first, *lines = head.decode("utf-8", "replace").strip().split("\r\n")
+            # A line that begins with white space goes on with the one before it.
+            headers = [(k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in re.sub(r"\r\n[ \t]+", " ", "\r\n".join(lines)).split("\r\n"))]
+            by_name = {k.lower(): v for k, v in headers}
+            if not first.startswith("WARC/") or not by_name.get("content-length", "").isdigit():
+                raise ValueError(f"not the head of a WARC record: {first[:80]!r}")
+            size = int(by_name["content-length"])
+            named = {c: by_name.get(h.lower()) for c, h in HEADER_COLUMNS.items()}
+            wanted = all(named[c] in values for c, values in self.wanted.items())
+            block = blocks.take(size, wanted and whole)
+            if not wanted:
+                continue
+            row = named | {"content_length": size, "headers": headers, "payload_bytes": None, "payload": None}
+            if whole:
+                http, _, payload = block.partition(b"\r\n\r\n") if by_name.get("content-type", "").lower().startswith("application/http") else (b"", b"", block)
+                length = re.search(rb"(?i)\r\nContent-Length: *(\d+)", http)
+                if named["record_type"] == "revisit":
+                    row["payload_bytes"] = int(length[1]) if length else None
+                else:
+                    row["payload"], row["payload_bytes"] = payload, len(payload)
+            yield row
+
     def record(self, f, at: int) -> tuple[dict | None, int]:
         """The record at `at`, or None if its headers don't match, and where the next one begins."""
         f.seek(at)
@@ -202,7 +306,9 @@ class WarcReader(DataSourceReader):
 class WarcDataSource(DataSource):
     """spark.read.format("warc").load(folder) and df.write.format("warc").save(folder).
 
-    Options: path, columns (comma-separated; others are not decoded), level (of deflate, 1 to 9).
+    Options: path (a folder or file, local or in a store that pyarrow knows), columns (comma-separated; others are not
+    decoded), level (of deflate, 1 to 9). A folder without files gives an empty table. A record that breaks off, or has
+    no length, is an error.
     """
 
     @classmethod
@@ -236,7 +342,8 @@ def id_uri(col) -> F.Column:
 def write_archives(df: DataFrame, path: str, least: int = 1000, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """Write one record for each row; of equal payloads of at least `least` bytes, all but the largest id's revisit it.
 
-    A null payload is empty. Rows that share the largest id are all responses. In a group without any id all rows are
+    A null payload is empty; an empty table makes no records; other columns don't matter; repeated payloads of different
+    ids revisit the one with the largest, however many there are. Rows that share the largest id are all responses. In a group without any id all rows are
     responses. Groups come from one group-by on length and digest; only groups of two and more are joined back, the
     hottest ones by broadcast (fewer than 10,000 by definition), so a payload with a third of all rows moves nothing.
     """
