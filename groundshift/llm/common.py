@@ -15,9 +15,9 @@ HOT_SHARE = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the warehouse where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (found or "file:///tmp/groundshift-checkpoints").rstrip("/")
+    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def table_path(spark: SparkSession, tag: str) -> str:
