@@ -22,9 +22,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: the one with the smallest id."""
+    """One document of each near-duplicate class stays: the one with the smallest id.
+
+    Classes are those of similarity 0.8 or more. Rows of one doc_id are one document, which stays or goes as a whole; rows
+    without an id, and texts without words, stay.
+    """
     ship_package(spark)
-    gone = neardup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_groundshift_gone")).distinct()
+    gone = neardup.near_duplicates(docs, percent=80).filter("not kept").select(F.col("doc_id").alias("_groundshift_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_groundshift_gone"], "left_anti")
 
 
@@ -47,8 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written as Parquet and read again as the next one's input."""
+    """Apply the stages to documents; each result is written as Parquet and read again as the next one's input, then dropped."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage{k}")
+        before, docs = docs, common.materialize(stage(spark, docs, sf_dir), f"stage{k}")
+        common.drop(before)
     return docs
