@@ -71,11 +71,11 @@ def area_adjusted(areas: DataFrame, counts: DataFrame, z: float = 1.96) -> DataF
     """Stratified estimate of each class's area: areas (stratum, area), counts (stratum, class_id, n).
 
     Share of a class: sum of w_h * p_h; variance: sum of w_h^2 p (1 - p) / (n_h - 1) for n_h > 1. Intervals stay in
-    [0, total]. Every stratum needs samples.
+    [0, total]. Every stratum needs samples: one without any is an error.
     """
     total = areas.agg(F.sum("area").alias("total"))
     per = counts.groupBy("stratum").agg(F.sum("n").alias("n_h"))
-    joined = counts.join(per, "stratum").join(areas, "stratum").join(F.broadcast(total))
+    joined = areas.join(per, "stratum", "left").join(counts, "stratum", "left").join(F.broadcast(total))
     w, p = F.col("area") / F.col("total"), F.try_divide(F.col("n").cast("double"), F.when(F.col("n_h") > 0, F.col("n_h")).otherwise(F.raise_error(F.lit("a stratum has no samples"))))
     var = F.when(F.col("n_h") > 1, w * w * p * (1 - p) / (F.col("n_h") - 1)).otherwise(0.0)
     out = joined.groupBy("class_id").agg(F.max("total").alias("total"), F.sum(w * p).alias("share"), F.sum(var).alias("var"))

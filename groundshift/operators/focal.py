@@ -103,14 +103,20 @@ def postprocess(classes: DataFrame, window: int, least_ha: float, pixel_m: float
 
 
 def gradients(dem: DataFrame, step_m: float = 30.0) -> DataFrame:
-    """dz_dx along columns and dz_dy along rows: central differences inside, one-sided at the ends."""
+    """dz_dx along columns and dz_dy along rows: central differences inside, one-sided at the ends of a line.
+
+    A missing or null neighbour inside makes the difference null; a line of one pixel has none.
+    """
     z = F.col("elevation")
 
-    def slope(w: Window) -> Column:
-        before, after = F.lag(z).over(w), F.lead(z).over(w)
-        return F.when(before.isNull(), (after - z) / step_m).when(after.isNull(), (z - before) / step_m).otherwise((after - before) / (2 * step_m))
+    def slope(line: str, place: str) -> Column:
+        w = Window.partitionBy(line).orderBy(place)
+        first, last = F.lag(place).over(w).isNull(), F.lead(place).over(w).isNull()
+        before = F.when(F.lag(place).over(w) == F.col(place) - 1, F.lag(z).over(w))
+        after = F.when(F.lead(place).over(w) == F.col(place) + 1, F.lead(z).over(w))
+        return F.when(first, (after - z) / step_m).when(last, (z - before) / step_m).otherwise((after - before) / (2 * step_m))
 
-    return dem.withColumns({"dz_dx": slope(Window.partitionBy("row").orderBy("col")), "dz_dy": slope(Window.partitionBy("col").orderBy("row"))})
+    return dem.withColumns({"dz_dx": slope("row", "col"), "dz_dy": slope("col", "row")})
 
 
 def slope_aspect(dem: DataFrame, step_m: float = 30.0) -> DataFrame:

@@ -46,16 +46,16 @@ def predict(model: RandomForestClassificationModel, rows: DataFrame) -> DataFram
     return rows.select("row", "col").join(found, ["row", "col"], "left").select("row", "col", F.coalesce("predicted", F.lit(0)).alias("class_id"))
 
 
-def train_and_predict(rows: DataFrame, per_class: int = 500, trees: int = 20, seed: int = 42) -> DataFrame:
+def train_and_predict(rows: DataFrame, per_class: int = 500, trees: int = 100, seed: int = 42) -> DataFrame:
     return predict(fit(training_sample(rows, per_class, seed), trees, seed=seed), rows)
 
 
-def importances(rows: DataFrame, per_class: int = 500, trees: int = 20, seed: int = 42) -> DataFrame:
+def importances(rows: DataFrame, per_class: int = 500, trees: int = 100, seed: int = 42) -> DataFrame:
     model = fit(training_sample(rows, per_class, seed), trees, seed=seed)
     return rows.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(FEATURES, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
 
 
-def cross_validate(rows: DataFrame, per_class: int = 200, trees: int = 10, folds: int = 3, seed: int = 42) -> DataFrame:
+def cross_validate(rows: DataFrame, per_class: int = 500, trees: int = 100, folds: int = 5, seed: int = 42) -> DataFrame:
     """Mean and population deviation of accuracy and kappa over stratified folds; out-of-bag scores don't exist here."""
     sample = sampling.kfold(training_sample(rows, per_class, seed), folds, seed).cache()
     scores = []

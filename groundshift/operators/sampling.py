@@ -51,7 +51,7 @@ def block_holdout(labels: DataFrame, size: float, fraction: float, seed: int) ->
     n = F.count("*").over(Window.partitionBy(F.lit(1)))
     order = F.row_number().over(Window.orderBy((F.col("bx") * 7919 + F.col("by") * 104729 + seed * 15485863) % 1000003, "bx", "by"))
     chosen = blocks.select("block", (order <= F.ceil(n * fraction)).alias("is_test"))
-    return marked.join(F.broadcast(chosen), "block").drop("bx", "by")
+    return marked.join(chosen, "block").drop("bx", "by")
 
 
 def class_weights(classes: DataFrame) -> DataFrame:

@@ -113,6 +113,27 @@ def boxes_intersect(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"]) & (a["y0"] <= b["y1"]) & (b["y0"] <= a["y1"])
 
 
+def rings_intersect(a: Column, b: Column) -> Column:
+    """Whether two closed simple rings have a point in common: edges that touch or cross, or one ring inside the other."""
+
+    def edges(ring: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.struct(F.element_at(ring, i).alias("p"), F.element_at(ring, i + 1).alias("q")))
+
+    def side(e: Column, p: Column) -> Column:
+        return F.signum((e["q"]["x"] - e["p"]["x"]) * (p["y"] - e["p"]["y"]) - (e["q"]["y"] - e["p"]["y"]) * (p["x"] - e["p"]["x"]))
+
+    def overlap(e: Column, f: Column, axis: str) -> Column:
+        low = lambda g: F.least(g["p"][axis], g["q"][axis])
+        high = lambda g: F.greatest(g["p"][axis], g["q"][axis])
+        return (low(e) <= high(f)) & (low(f) <= high(e))
+
+    def touch(e: Column, f: Column) -> Column:
+        return overlap(e, f, "x") & overlap(e, f, "y") & (side(e, f["p"]) * side(e, f["q"]) <= 0) & (side(f, e["p"]) * side(f, e["q"]) <= 0)
+
+    within = contains_point(a, F.element_at(b, 1)["x"], F.element_at(b, 1)["y"]) | contains_point(b, F.element_at(a, 1)["x"], F.element_at(a, 1)["y"])
+    return F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: touch(e, f))) | within
+
+
 def clip_to_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Sutherland-Hodgman against the four sides of a box; exact for convex rings, as cells and windows are.
 
@@ -222,7 +243,7 @@ def sample_raster(points: DataFrame, classes: DataFrame, x_min: float, y_max: fl
 
 
 def intersecting_pairs(left: DataFrame, right: DataFrame, bucket: float) -> DataFrame:
-    """Pairs (left_id, right_id) of convex rings whose boxes intersect or touch, found by shared buckets, once each."""
+    """Pairs (left_id, right_id) of simple rings that intersect or touch, found by shared buckets, once each."""
     cell = lambda c: F.floor(c / bucket).cast("long")
 
     def wide(df: DataFrame, side: str) -> DataFrame:
@@ -232,7 +253,7 @@ def intersecting_pairs(left: DataFrame, right: DataFrame, bucket: float) -> Data
         return d.withColumn("bx", F.explode(F.sequence(cell(F.col(f"{side}_x0")) - int(side == "left"), cell(F.col(f"{side}_x1"))))).withColumn("by", F.explode(F.sequence(cell(F.col(f"{side}_y0")) - int(side == "left"), cell(F.col(f"{side}_y1")))))
 
     c = {s: {k: F.col(f"{s}_{k}") for k in ("x0", "y0", "x1", "y1")} for s in ("left", "right")}
-    return wide(left, "left").join(wide(right, "right"), ["bx", "by"]).filter(boxes_intersect(c["left"], c["right"])).drop("bx", "by").dropDuplicates(["left_id", "right_id"])
+    return wide(left, "left").join(wide(right, "right"), ["bx", "by"]).filter(boxes_intersect(c["left"], c["right"])).drop("bx", "by").dropDuplicates(["left_id", "right_id"]).filter(rings_intersect(F.col("left_ring"), F.col("right_ring")))
 
 
 def overlay(left: DataFrame, right_boxes: DataFrame, bucket: float, how: str = "intersection") -> DataFrame:

@@ -57,7 +57,7 @@ def change_run(first: DataFrame, second: DataFrame, window: int = 3, least_ha: f
     return {"pairs": pairs, "matrix": change.transition_matrix(pairs, pixel_m), "classes": change.class_stats(pairs, pixel_m), "masks": change.change_masks(pairs), "footprint": change.footprint(pairs, pixel_m)}
 
 
-def association_run(masks: DataFrame, cell_px: int, per_row: int, pixel_area: float = 100.0, alpha: float = 0.05, top: int = 20, permutations: int = 99, seed: int = 42) -> dict[str, DataFrame]:
+def association_run(masks: DataFrame, cell_px: int, per_row: int, pixel_area: float = 100.0, alpha: float = 0.05, top: int = 20, permutations: int = 999, seed: int = 42) -> dict[str, DataFrame]:
     """Masks to grid, rank correlation, Moran's I with permutations, local Gi* and hotspots."""
     grid = assoc.grid_aggregate(masks, cell_px, per_row, pixel_area)
     edges = assoc.queen_edges(grid)
@@ -75,10 +75,12 @@ def terrain_features(dem: DataFrame, target: DataFrame, scale: float, step_m: fl
 
 
 def clip_raster(source: DataFrame, target: DataFrame, value: str, ring: DataFrame, scale: float, x_min: float, y_max: float, size: float, categorical: bool = False) -> DataFrame:
-    """A raster on the target grid inside a boundary; nearest for classes, bilinear otherwise, null outside."""
+    """A raster on the target grid inside a boundary of one or more rings; nearest for classes, bilinear otherwise."""
     regrid = focal.regrid_nearest if categorical else focal.regrid_bilinear
     out = regrid(source, target, value, scale, scale).withColumns({"x": F.lit(x_min) + (F.col("col") + 0.5) * size, "y": F.lit(y_max) - (F.col("row") + 0.5) * size})
-    return out.join(F.broadcast(ring.select("ring").limit(1))).filter(vector.contains_point(F.col("ring"), F.col("x"), F.col("y"))).select("row", "col", value)
+    # A boundary has few rings; they travel as one row.
+    rings = ring.agg(F.collect_list("ring").alias("rings"))
+    return out.join(F.broadcast(rings)).filter(F.exists("rings", lambda r: vector.contains_point(r, F.col("x"), F.col("y")))).select("row", "col", value)
 
 
 def boundary(ways: DataFrame) -> DataFrame:

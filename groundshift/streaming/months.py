@@ -39,13 +39,20 @@ def counts_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best scene of each tile and day, kept up to date micro-batch by micro-batch in a table."""
+    """The best scene of each tile and day, kept up to date micro-batch by micro-batch in a table of the shared folder.
+
+    Each batch writes the table anew from the one before and its own scenes; the rows returned are those of the last.
+    """
     schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders*.parquet").parquet(sf_dir)
-    state: dict[str, DataFrame] = {}
+    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    name, written = f"{root}/groundshift/best-{uuid.uuid4().hex}", []
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        state["now"] = best_scene(fx.scenes_of(batch), state.get("now"))
+        known = spark.read.parquet(written[-1]) if written else None
+        best_scene(fx.scenes_of(batch), known).write.mode("overwrite").parquet(f"{name}/{epoch}")
+        written.append(f"{name}/{epoch}")
 
     _drain(stream.writeStream.foreachBatch(upsert).trigger(availableNow=True).start())
-    return ops.ranked(fx.scenes(spark, sf_dir)).filter("place = 1 and tile is not null").select("id", "tile", "day") if "now" not in state else ops.ranked(best_scene(fx.scenes(spark, sf_dir), None)).select("id", "tile", "day")
+    best = spark.read.parquet(written[-1]) if written else fx.scenes(spark, sf_dir).limit(0)
+    return ops.ranked(best).select("id", "tile", "day")
